@@ -90,7 +90,7 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str], wi
 
 
 def batches_of(rows: int, spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch, where the session still has Spark's default: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+    """Fewer rows in an Arrow batch and in a batch of the Parquet reader, where the session still has Spark's defaults: texts can be long."""
+    for key, default, now in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.parquet.columnarReaderBatchSize", "4096", min(rows, 512))):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(now))
