@@ -43,6 +43,20 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed so that they clash with none of an operator's own, and the new names by the old ones."""
+    names = {c: f"in{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

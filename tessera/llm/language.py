@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import batches_of
+from tessera.llm._spark import batches_of, fresh
 from tessera.llm._words import mix
 
 #: Hashed features, and the lengths of the character n-grams.
@@ -199,8 +199,9 @@ def identified(df: DataFrame, model: LanguageModel, text: str = "text", doc_id:
             out.append((m.languages[k], float(p[k])))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    guess = df.withColumn("_guess", predict(F.col(text)))
-    return guess.select(*(c for c in df.columns if c not in ("lang_pred", "score")), F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    at = fresh(df, "_guess")
+    guess = df.withColumn(at, predict(F.col(text)))
+    return guess.select(*(c for c in df.columns if c not in ("lang_pred", "score")), F.col(f"{at}.lang_pred").alias("lang_pred"), F.col(f"{at}.score").alias("score"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

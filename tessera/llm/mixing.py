@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import discard, durable, n_words, prefix_sums
+from tessera.llm._spark import discard, durable, n_words, prefix_sums, set_apart
 
 #: Sources fewer than this are joined by broadcast (under 100 bytes each); more are joined by a shuffle.
 FEW_SOURCES = 2_000
@@ -39,6 +39,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return ranked.select("_source", F.col("_words").alias("_source_size"), F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("_target")), count
 
 
+RESULTS = ("_size", "_source_size", "_target", "_copies")
+
+
 def fair_mix(
     df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = "mix"
 ) -> DataFrame:
@@ -51,8 +54,15 @@ def fair_mix(
     without a shuffle of the texts.
 
     A null or empty text has size 0 and, like a row of a source whose target is 0, is taken 0 times. Null is a source of
-    its own. Repeated rows share one place and are taken alike. A table without rows gives none.
+    its own. Repeated rows share one place and are taken alike. A table without rows gives none. Columns of ``df`` that
+    have the names of new ones are replaced.
     """
+    apart, names = set_apart(df)
+    out = _fair_mix(apart, weights, share, most, names[text], names[source], names[doc_id], seed)
+    return out.select(*(F.col(names[c]).alias(c) for c in df.columns if c not in RESULTS), *RESULTS)
+
+
+def _fair_mix(df: DataFrame, weights: Sequence[float], share: float, most: int, text: str, source: str, doc_id: str, seed: str) -> DataFrame:
     size, place = n_words(F.col(text)), F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("h"), F.col(doc_id).cast("string").alias("i"))
     narrow = durable(df.select(F.col(source).alias("_source"), size.alias("_size"), place.alias("_place")).withColumn("_none", F.col("_source").isNull()).where("_size > 0"))
     targets, count = source_targets(narrow.select("_source", "_size"), weights, share, most)
@@ -71,7 +81,11 @@ def fair_mix(
     return out.select(*df.columns, "_size", F.coalesce("_source_size", F.lit(0)).cast("long").alias("_source_size"), F.coalesce("_target", F.lit(0.0)).alias("_target"), F.when(F.col("_size") > 0, taken).otherwise(0).cast("int").alias("_copies"))
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(
+    df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = "mix"
+) -> DataFrame:
     """The mix itself: every row of ``df`` as many times as fair_mix() takes it, with the columns of ``df``."""
-    return fair_mix(df, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
-
+    apart, names = set_apart(df)
+    out = _fair_mix(apart, weights, share, most, names[text], names[source], names[doc_id], seed)
+    taken = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*(F.col(names[c]).alias(c) for c in df.columns))

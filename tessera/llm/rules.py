@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import SPACES, let, words
+from tessera.llm._spark import SPACES, fresh, let, words
 
 
 @dataclass(frozen=True)
@@ -51,17 +51,18 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of each whole text; null has none."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    df = df.withColumns({"_words": words(F.col(text)), "_lines": lines})
+    found, kept = fresh(df, "_words"), fresh(df, "_lines")
+    df = df.withColumns({found: words(F.col(text)), kept: lines})
     return df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(found).cast("long"),
+            "word_chars": F.length(F.array_join(found, "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_window_words(F.col("_words")),
+            "n_lines": F.size(kept).cast("long"),
+            "n_dup_lines": (F.size(kept) - F.size(F.array_distinct(kept))).cast("long"),
+            "n_repeat_words": repeated_window_words(F.col(found)),
         }
-    ).drop("_words", "_lines")
+    ).drop(found, kept)
 
 
 def default_rules(text: str = "text") -> list[Rule]:

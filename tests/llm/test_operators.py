@@ -57,6 +57,21 @@ def test_odd_rows_and_empty_tables(odd, nothing, name):
     assert ALL[name](nothing).count() == 0
 
 
+def test_clashing_names(odd):
+    """Columns with the names that operators use inside stay as they are."""
+    names = ["_size", "_place", "_s", "_source", "_target", "0", "1", "_found", "_new", "_guess", "_words", "_lines", "_copy", "id", "node", "tokens", "component"]
+    more = odd.select(*(c for c in odd.columns if c not in names), *(F.lit(f"mine {n}").alias(n) for n in names))
+    one = {n: f"mine {n}" for n in names}
+    for made in (pii.pseudonymise(more), language.identify_languages(more), rules.quality_cascade(more), mixing.mixed(more), jaccard.deduplicated(more)):
+        rows = made.collect()
+        assert rows and all({n: r[n] for n in names} == one for r in rows)
+    assert mixing.mixed(more).columns == jaccard.deduplicated(more).columns == more.columns
+    out = mixing.fair_mix(more).collect()
+    assert len(out) == len(ODD) and all(r["_s"] == "mine _s" and isinstance(r["_size"], int) for r in out)
+    for name in ("selection", "sharding", "pieces", "media", "jaccard", "bpe"):
+        assert ALL[name](more).count() == len(ODD)
+
+
 # ---- 1
 
 
