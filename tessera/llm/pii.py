@@ -21,7 +21,20 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 NANP = r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])"
 CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
-FORMS = "|".join((EMAIL, ACCESS_KEY, PASSWORD, HEX_TOKEN, IBAN, IPV4, DATE, SOCIAL, NANP, PHONE, CARD))
+# IBANs and cards are looked for inside whole runs of tokens, as neighbours may look like a part of them. No other form that may go beyond a run starts in it.
+_CROSSING = "|".join((EMAIL, ACCESS_KEY, PASSWORD, IPV4, DATE, rf"(?=[0-9 -]{{1,8}}\.)(?:{NANP})"))
+RUN = (
+    r"(?:(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2})|(?<![0-9A-Za-z.-])(?=[0-9](?:[ -]?[0-9]){12}))"
+    rf"[A-Z0-9]++(?![A-Za-z]|\.[0-9])(?:[ -](?!{_CROSSING})[A-Z0-9]++(?![A-Za-z]|\.[0-9]))*+"
+)
+PLAIN = "|".join((EMAIL, ACCESS_KEY, PASSWORD, HEX_TOKEN, IPV4, DATE, SOCIAL, NANP, PHONE))
+FORMS = rf"{PLAIN}|{IBAN}(?=\.[0-9])|{RUN}"
+GROUPED_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})$"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+MOST_TOKENS = 19
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -123,11 +136,15 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
+def _iban_valid(bare: Column) -> Column:
+    return _mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+
+
 def _iban(x: Column, key: str) -> Column:
     bare = F.regexp_replace(x, " ", "")
     country = F.substr(bare, F.lit(1), F.lit(2))
     body = F.substr(bare, F.lit(5), F.length(bare))
-    valid = _mod97(F.concat(body, F.substr(bare, F.lit(1), F.lit(4)))) == 1
+    valid = _iban_valid(bare)
     new = let(feistel_text(body, key, "iban"), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     return F.when(valid, let(new, lambda n: _written_as(x, n, "[A-Z0-9]")))
 
@@ -191,7 +208,7 @@ def _whole(pattern: str) -> str:
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """(kind, value) for a string of one of the FORMS; null where it isn't valid."""
+    """(kind, value) for a string of one of the PLAIN forms; null where it isn't valid."""
     bare = lambda k: F.substr(x, F.lit(k + 1), F.length(x))
     kinds: list[tuple[str, str, Callable[[], Column]]] = [
         ("email", EMAIL, lambda: _email(x, key)),
@@ -205,8 +222,6 @@ def pseudonym(x: Column, key: str) -> Column:
         ("social", SOCIAL, lambda: _social(x, key)),
         ("phone", NANP, lambda: _nanp(x, key)),
         ("phone", PHONE, lambda: _phone(x, key)),
-        ("iban", IBAN, lambda: _iban(x, key)),
-        ("card", CARD, lambda: _card(x, key)),
     ]
     out = F
     for kind, pattern, new in kinds:
@@ -215,6 +230,67 @@ def pseudonym(x: Column, key: str) -> Column:
     return out
 
 
+def _replaced(text: Column, forms: str, found: Column, new: Callable[[Column], Column]) -> Column:
+    """(t, k): ``text`` with what was ``found`` of the ``forms`` replaced by t of ``new``, and the kinds k of all that was."""
+
+    def joined(news: Column) -> Column:
+        both = F.zip_with(found, news, lambda x, n: F.coalesce(n["t"], x))
+        whole = F.array_join(F.zip_with(F.split(text, forms, -1), both, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+        return F.struct(whole.alias("t"), F.flatten(F.filter(F.transform(news, lambda n: n["k"]), lambda k: k.isNotNull())).alias("k"))
+
+    return let(F.transform(found, new), joined)
+
+
+def _plain(x: Column, key: str) -> Column:
+    return let(pseudonym(x, key), lambda n: F.when(n["value"].isNotNull(), F.struct(n["value"].alias("t"), F.array(n["kind"]).alias("k"))))
+
+
+def _rank(w: Column, whole: Column) -> Column:
+    """The order in which spans of a run are taken; null for a span that is neither a valid IBAN nor a valid card number."""
+    bare = F.regexp_replace(w, "[ -]", "")
+    length = F
+    for n, countries in IBAN_LENGTHS.items():
+        length = length.when(F.substr(w, F.lit(1), F.lit(2)).isin(*countries.split()), n)
+    iban, card = w.rlike(_whole(IBAN)), w.rlike(_whole(CARD))
+    as_iban = F.when(F.length(bare) == length, 0).when(whole, 1).when(length.isNull(), 4)
+    as_card = F.when(whole, 1).when(w.rlike(GROUPED_CARD), 2).otherwise(3)
+    return F.when(iban, F.when(_iban_valid(bare), as_iban)).when(card, F.when(_luhn_valid(bare), as_card))
+
+
+def _run(x: Column, key: str) -> Column:
+    """(t, k) of a run: its spans of whole tokens that are IBANs (of their country's length) or card numbers are replaced, and plain forms between them.
+
+    Of spans that overlap, an IBAN of its country's length comes first, then the whole run, cards in usual groups, other cards and IBANs of
+    countries not listed, longer ones before shorter ones.
+    """
+
+    def chosen(p: Column) -> Column:
+        m = F.size(p)
+        span = lambda i, j: F.regexp_replace(F.array_join(F.slice(p, i, j - i + 1), ""), "[ -]$", "")
+        entry = lambda i, j: let(span(i, j), lambda w: F.struct(_rank(w, (i == 1) & (j == m)).alias("rank"), (-F.length(w)).alias("less"), i.alias("i"), j.alias("j"), w.alias("w")))
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), m), lambda i: F.filter(F.transform(F.sequence(i, F.least(m, i + MOST_TOKENS - 1)), lambda j: entry(i, j)), lambda e: e["rank"].isNotNull())))
+        free = lambda acc, e: ~F.exists(acc, lambda a: (a["i"] <= e["j"]) & (e["i"] <= a["j"]))
+        taken = let(spans, lambda all_: F.aggregate(F.array_sort(all_), F.slice(all_, 1, 0), lambda acc, e: F.when(free(acc, e), F.concat(acc, F.array(e))).otherwise(acc)))
+        return F.array_sort(F.transform(taken, lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"), e["w"].alias("w"))))
+
+    def rebuilt(p: Column) -> Column:
+        text = lambda i, j: F.array_join(F.slice(p, i, F.greatest(j - i + 1, F.lit(0))), "")
+        end = F.struct((F.size(p) + 1).alias("i"), (F.size(p) + 1).alias("j"), F.lit("").alias("w"))
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("t"), F.array().cast("array<string>").alias("k"))
+
+        def step(s: Column, e: Column) -> Column:
+            gap = let(text(s["at"], e["i"] - 1), lambda g: _replaced(g, PLAIN, F.regexp_extract_all(g, F.lit(PLAIN), F.lit(0)), lambda y: _plain(y, key)))
+            iban = e["w"].rlike(_whole(IBAN))
+            new = F.when(e["w"] == "", "").when(iban, _iban(e["w"], key)).otherwise(_card(e["w"], key))
+            after = F.substr(text(e["i"], e["j"]), F.length(e["w"]) + 1, F.lit(1))
+            kind = F.when(e["w"] == "", F.array().cast("array<string>")).otherwise(F.array(F.when(iban, "iban").otherwise("card")))
+            return let(gap, lambda g: F.struct((e["j"] + 1).alias("at"), F.concat(s["t"], g["t"], new, after).alias("t"), F.concat(s["k"], g["k"], kind).alias("k")))
+
+        return let(chosen(p), lambda c: F.aggregate(F.concat(c, F.array(end)), start, step, lambda s: F.struct(s["t"].alias("t"), s["k"].alias("k"))))
+
+    return let(F.regexp_extract_all(x, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), rebuilt)
+
+
 def pseudonymise(df: DataFrame, key: str = "tessera", text: str = "text") -> DataFrame:
     """``df`` with personal data in ``text`` replaced by pseudonyms of the same form, and n_pii and pii_kinds.
 
@@ -225,12 +301,11 @@ def pseudonymise(df: DataFrame, key: str = "tessera", text: str = "text") -> Dat
     table without rows gives none. Columns called n_pii and pii_kinds are replaced.
     """
 
+    def replacement(x: Column) -> Column:
+        return F.when(x.rlike(_whole(PLAIN)), _plain(x, key)).otherwise(_run(x, key))
+
     def rewritten(found: Column) -> Column:
-        news = F.transform(found, lambda x: pseudonym(x, key))
-        whole = lambda new: F.array_join(
-            F.zip_with(F.split(F.col(text), FORMS, -1), F.zip_with(found, new, lambda x, n: F.coalesce(n["value"], x)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), ""
-        )
-        return let(news, lambda new: F.struct(whole(new).alias("t"), F.transform(F.filter(new, lambda n: n["value"].isNotNull()), lambda n: n["kind"]).alias("k")))
+        return _replaced(F.col(text), FORMS, found, replacement)
 
     none = F.struct(F.col(text).alias("t"), F.array().cast("array<string>").alias("k"))
     found = F.when(F.col(text).rlike(HIT), F.regexp_extract_all(F.col(text), F.lit(FORMS), F.lit(0)))

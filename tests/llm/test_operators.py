@@ -145,6 +145,23 @@ def test_each_form_alone(spark):
     assert (got[-1].n_pii, got[-1].text) == (0, "no form, 12 of 3")
 
 
+def test_cards_and_ibans_beside_other_tokens(spark):
+    card, spain, uk = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        ("4111 1111 1111 1111", [card]), (f"{card} 12/26", [card]), ("5555 5555 5555 4444 123", ["5555 5555 5555 4444"]), (f"item 7 {card}", [card]), (f"12 34 {card} 12/26", [card]),
+        (f"{card} 5555 5555 5555 4444 9", [card, "5555 5555 5555 4444"]), (f"{spain}", [spain]), (f"{spain} EUR", [spain]), (f"{spain} {card}", [spain, card]), (f"AB12 {spain} 20", [spain]), (f"{uk} 7", [uk]),
+        (f"{card} 212-555-0123", [card, "212-555-0123"]), (f"{spain} 31/12/2024", [spain, "31/12/2024"]), (f"{card} 10.0.0.1", [card, "10.0.0.1"]), (f"{spain} JO@EXAMPLE.ORG", [spain, "JO@EXAMPLE.ORG"]),
+        ("4111 1111 1111 1112 12", []), ("1 2 3 4 5 6", []),
+    ]
+    got = pii.pseudonymise(table(spark, [f"x: {t}; end" for t, _ in cases])).orderBy("doc_id").collect()
+    for (t, parts), r in zip(cases, got, strict=True):
+        assert r.n_pii == len(parts), (t, r)
+        assert not any(x in r.text for x in parts) and r.text.startswith("x: ") and r.text.endswith("; end"), (t, r)
+    new = got[0].text[3:22]
+    assert luhn(new) and [new in r.text for r in got] == [card in t for t, _ in cases]
+    assert got[6].text[3:32] in got[7].text and got[6].text[3:32] in got[9].text and got[1].text.endswith(" 12/26; end") and got[9].text.startswith("x: AB12 ")
+
+
 def test_resampling_prefers_the_target(spark):
     rng = random.Random(1)
     good, bad = [f"g{k}" for k in range(50)], [f"b{k}" for k in range(50)]
