@@ -12,7 +12,7 @@ from tessera.llm._spark import fresh, let
 # The forms that are looked for, and the alphabets that a character stays in.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?i:(?<![A-Za-z])password=)[^\s\"']{4,128}"
+PASSWORD = r"(?i:(?<![A-Za-z])password=)[^\s\"']{4,}"
 HEX_TOKEN = r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
@@ -92,7 +92,7 @@ def feistel_text(text: Column, key: str, kind: str, alphabets: tuple[str, ...] =
     def half(x: Column, other: Column, i: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 16).cast("int")), lambda b: _hash(key, kind, i, b, other))
         chars = lambda hs: F.transform(
-            F.sequence(F.lit(1), F.length(x)), lambda j: shifted(F.substr(x, j, F.lit(1)), _number(F.substr(F.element_at(hs, (F.floor((j - 1) / 16) + 1).cast("int")), (F.pmod(j - 1, F.lit(16)) * 4 + 1).cast("int"), F.lit(4))))
+            F.split(x, ""), lambda c, j: shifted(c, _number(F.substr(F.element_at(hs, (F.floor(j / 16) + 1).cast("int")), (F.pmod(j, F.lit(16)) * 4 + 1).cast("int"), F.lit(4))))
         )
         return F.when(F.length(x) == 0, x).otherwise(F.array_join(let(blocks, chars), ""))
 

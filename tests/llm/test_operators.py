@@ -162,6 +162,12 @@ def test_cards_and_ibans_beside_other_tokens(spark):
     assert got[6].text[3:32] in got[7].text and got[6].text[3:32] in got[9].text and got[1].text.endswith(" 12/26; end") and got[9].text.startswith("x: AB12 ")
 
 
+def test_long_passwords(spark):
+    secret = "".join("abcdefghij"[k * k % 7] for k in range(300))
+    got = pii.pseudonymise(table(spark, [f"password={secret} end"])).first()
+    assert got.n_pii == 1 and len(got.text) == 313 and got.text.endswith(" end") and secret[128:] not in got.text and secret[-20:] not in got.text
+
+
 def test_resampling_prefers_the_target(spark):
     rng = random.Random(1)
     good, bad = [f"g{k}" for k in range(50)], [f"b{k}" for k in range(50)]
