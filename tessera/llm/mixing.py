@@ -53,7 +53,7 @@ def fair_mix(
     A pass takes the head of a source's order, so a cut for each source and pass tells for every row whether it is taken,
     without a shuffle of the texts.
 
-    A null or empty text has size 0 and, like a row of a source whose target is 0, is taken 0 times. Null is a source of
+    A source without words keeps its place among the weights. A null or empty text has size 0 and, like a row of a source whose target is 0, is taken 0 times. Null is a source of
     its own. Repeated rows share one place and are taken alike. A table without rows gives none. Columns of ``df`` that
     have the names of new ones are replaced.
     """
@@ -64,10 +64,10 @@ def fair_mix(
 
 def _fair_mix(df: DataFrame, weights: Sequence[float], share: float, most: int, text: str, source: str, doc_id: str, seed: str) -> DataFrame:
     size, place = n_words(F.col(text)), F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("h"), F.col(doc_id).cast("string").alias("i"))
-    narrow = durable(df.select(F.col(source).alias("_source"), size.alias("_size"), place.alias("_place")).withColumn("_none", F.col("_source").isNull()).where("_size > 0"))
+    narrow = durable(df.select(F.col(source).alias("_source"), size.alias("_size"), place.alias("_place")).withColumn("_none", F.col("_source").isNull()))
     targets, count = source_targets(narrow.select("_source", "_size"), weights, share, most)
     targets = durable(targets)
-    queued = prefix_sums(narrow.groupBy("_none", "_source", "_place").agg(F.sum("_size").alias("_size")), [F.col("_none"), F.col("_source"), F.col("_place")], {"_before": "_size"}, within=["_source"])
+    queued = prefix_sums(narrow.where("_size > 0").groupBy("_none", "_source", "_place").agg(F.sum("_size").alias("_size")), [F.col("_none"), F.col("_source"), F.col("_place")], {"_before": "_size"}, within=["_source"])
     queued = queued.join(_small(targets.withColumnRenamed("_source", "_s"), count), F.col("_source").eqNullSafe(F.col("_s")), "inner").drop("_s")
     copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")).withColumn("_finish", (F.col("_pass") * F.col("_source_size") + F.col("_before") + F.col("_size")) / F.col("_target"))
     line = [F.col("_finish"), F.col("_none"), F.col("_source"), F.col("_place")]

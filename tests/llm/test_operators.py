@@ -260,6 +260,13 @@ def test_mix(spark):
 # ---- 5, 10
 
 
+def test_source_without_words_takes_a_turn(spark):
+    """Sources a, b, c take the weights 5, 2, 1 though b has no words."""
+    docs = table(spark, ["one two three four"] * 60 + [None, "", " \n"] + ["one two three four"] * 60, source={k: "a" if k < 60 else "b" if k < 63 else "c" for k in range(123)})
+    got = {r.source: (r["_source_size"], r["_target"]) for r in mixing.fair_mix(docs, share=0.5).collect()}
+    assert got["b"] == (0, 0.0) and got["a"][1] == pytest.approx(200) and got["c"][1] == pytest.approx(40)
+
+
 def test_longest_match_counts(spark):
     ranks = tokenizer.ranks_of(tokenizer.vocabulary(BPE))
     machine = tokenizer.LongestMatch(ranks)
