@@ -53,8 +53,9 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame and bin of the spectral peaks, in order: a band's loudest bin, no softer than the band in the frames beside it."""
     x = np.frombuffer(samples, dtype=np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, dtype=np.uint8)])
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    if short:  # silence up to the end of a frame
+        x = np.concatenate([x, np.full(short, 128, dtype=np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     level, place = [], []
     for at in range(0, len(frames), BLOCK):

@@ -312,6 +312,15 @@ def test_media(spark):
     assert out[1].fp_codes == out[3].fp_codes and len(out[2].fp_codes) > 5
 
 
+def test_the_last_samples_are_in_a_frame():
+    rng = np.random.default_rng(6)
+    for n in (320, 448):
+        x = rng.integers(60, 196, n).astype(np.uint8)
+        y = x.copy()
+        y[-64:] = 128 + 100 * np.sin(np.arange(64) * 1.5)
+        assert any(not np.array_equal(a, b) for a, b in zip(media.fingerprint(x.tobytes()), media.fingerprint(y.tobytes()), strict=True))
+
+
 def test_a_tone_has_its_peak():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / 8000) * (t % 2000 < 1000)).astype(np.uint8).tobytes()
