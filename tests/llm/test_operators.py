@@ -403,6 +403,51 @@ def test_jaccard_components(spark, words, percent, boundary):
     assert got == brute_components(list(enumerate(texts)), words, percent)
 
 
+def test_one_set_in_all_partitions(spark):
+    """However many tasks list a set, each list has it once; a frequent element isn't counted in one task."""
+    rng = random.Random(10)
+    base = [str(rng.randrange(10**6)) for _ in range(60)]
+    copies, other = " ".join(base), " ".join([*base[:-1], "other"])
+    docs = table(spark, [copies] * 64 + [other] + [" ".join(str(rng.randrange(10**6)) for _ in range(50)) for _ in range(15)]).repartition(16)
+    rows = jaccard._first_pass(docs, 4, 85, "text", "doc_id").cache()
+    made = rows.where(F.col("kind") == jaccard.TEXT)
+    nodes = made.groupBy("node", "n").agg(F.min("id").alias("key"), F.min("low").alias("low"))
+    assert rows.where(F.col("kind") >= jaccard.POSTING).count() > 16 * 56 / 2  # listed by most tasks
+    lists = jaccard.prefix_lists(rows.where(F.col("kind") >= jaccard.POSTING), nodes, 85).collect()
+    assert len(lists) == len({(r.token, r.key) for r in lists}) and {r.key for r in lists} == {0, 64} and len(lists) <= 2 * jaccard.prefix_length(57, 85)
+    rows.unpersist()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 4, 85)
+
+
+def test_hub_of_sets_that_do_not_link(spark):
+    """Variants of one text, some linked with many and some with none, in lists of more than one block."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(1 if k % 3 else rng.choice([3, 5, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(table(spark, texts).repartition(8)).collect()}
+    assert got == brute_components(list(enumerate(texts)), 4, 85)
+
+
+def test_bad_parameters(odd):
+    for options in ({"percent": 0}, {"percent": 101}, {"boundary": 17}):
+        with pytest.raises(ValueError, match="boundary"):
+            jaccard.similar_components(odd, **options)
+
+
+@pytest.mark.parametrize("percent", [10, 20, 60, 100])
+def test_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["a b c d e"] * 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(table(spark, texts), 2, percent, boundary=min(6, percent // 10)).collect()}
+    assert got == brute_components(list(enumerate(texts)), 2, percent)
+
+
 # ---- pipeline
 
 
