@@ -27,16 +27,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     ranked = prefix_sums(per, [F.col("_none"), F.col("_source")], {"_rank": "_one"})
     turn = F.array(*(F.lit(float(w)) for w in weights))
     ranked = ranked.withColumn("_weight", F.element_at(turn, (F.col("_rank") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("_words") * float(most))
-    total, count = ranked.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.count("*")).first()
-    budget, level = share * total, 0.0
-    while count:  # the level of water: words for each unit of weight; it only rises, and stands when no further source is full
-        full = F.col("_cap") <= F.lit(level) * F.col("_weight")
-        capped, open_weight = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("_weight"))), F.lit(0.0))).first()
-        rise = (budget - capped) / open_weight if open_weight else level
-        if rise <= level:
-            break
-        level = rise
-    return ranked.select("_source", F.col("_words").alias("_source_size"), F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("_target")), count
+    total, count, all_weights = ranked.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.count("*"), F.sum("_weight")).first()
+    # The level of water, in words for each unit of weight: sources are full in the order of their caps by weight, and it stands before the first that isn't.
+    filled = prefix_sums(ranked.withColumn("_full_at", F.col("_cap") / F.col("_weight")), [F.col("_full_at"), F.col("_none"), F.col("_source")], {"_caps": "_cap", "_weights": "_weight"})
+    level = (F.lit(share * total) - F.col("_caps")) / (F.lit(all_weights) - F.col("_weights"))
+    found = filled.where(level < F.col("_full_at")).agg(F.min_by(level, "_full_at")).first()[0]
+    target = F.col("_cap") if found is None else F.least(F.col("_cap"), F.lit(found) * F.col("_weight"))
+    return filled.select("_source", F.col("_words").alias("_source_size"), target.alias("_target")), count
 
 
 RESULTS = ("_size", "_source_size", "_target", "_copies")
@@ -49,7 +46,7 @@ def fair_mix(
 
     The rows of a source stand in the order of a keyed hash of the id, and may be taken ``most`` times, one pass after
     another. A copy's virtual finish time is the source's words up to and with it, divided by the source's target. All
-    copies are range-sorted by that time and taken while their words stay within the sum of the targets.
+    copies are range-sorted by that time, equal ones by source and place, and taken up to the first that would take their words over the sum of the targets.
     A pass takes the head of a source's order, so a cut for each source and pass tells for every row whether it is taken,
     without a shuffle of the texts.
 
@@ -68,10 +65,10 @@ def _fair_mix(df: DataFrame, weights: Sequence[float], share: float, most: int,
     targets, count = source_targets(narrow.select("_source", "_size"), weights, share, most)
     targets = durable(targets)
     queued = prefix_sums(narrow.where("_size > 0").groupBy("_none", "_source", "_place").agg(F.sum("_size").alias("_size")), [F.col("_none"), F.col("_source"), F.col("_place")], {"_before": "_size"}, within=["_source"])
-    queued = queued.join(_small(targets.withColumnRenamed("_source", "_s"), count), F.col("_source").eqNullSafe(F.col("_s")), "inner").drop("_s")
+    queued = queued.join(_small(targets.withColumnRenamed("_source", "_s"), count), F.col("_source").eqNullSafe(F.col("_s")), "inner").drop("_s").where("_target > 0")
     copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")).withColumn("_finish", (F.col("_pass") * F.col("_source_size") + F.col("_before") + F.col("_size")) / F.col("_target"))
     line = [F.col("_finish"), F.col("_none"), F.col("_source"), F.col("_place")]
-    sorted_ = prefix_sums(copies.where(F.col("_finish") < 2.0), line, {"_sum": "_size"})  # no copy that ends at twice its source's target is taken
+    sorted_ = prefix_sums(copies, line, {"_sum": "_size"})
     budget = targets.agg(F.coalesce(F.sum("_target"), F.lit(0.0))).first()[0]
     cuts = sorted_.where(F.col("_sum") + F.col("_size") <= budget).groupBy("_source").pivot("_pass", list(range(most))).agg(F.max("_place"))
     cuts = durable(targets.join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))

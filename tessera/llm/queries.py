@@ -108,22 +108,21 @@ ORACLE_SQL["op8_fair_mix"] = r"""
 WITH docs AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || doc_id::VARCHAR) AS h, doc_id::VARCHAR AS i FROM documents
 ), per AS (
-    SELECT source, sum(size)::BIGINT AS words FROM docs WHERE size > 0 GROUP BY source
+    SELECT source, sum(size)::BIGINT AS words FROM docs GROUP BY source
 ), ranked AS (
-    SELECT *, words * 2.0 AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM per
-), filled AS (
-    SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
-           sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, (SELECT 1.5 * sum(words) FROM per) AS budget FROM ranked
+    SELECT *, words * 2.0::DOUBLE AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, 1.5::DOUBLE * sum(words) OVER () AS budget FROM per
+), full_at AS ( -- the highest level that doesn't use up all, of those at which a source is full
+    SELECT max(r) AS r FROM (SELECT DISTINCT x.cap / x.w AS r, x.budget FROM ranked x UNION SELECT 0.0, budget FROM ranked) b WHERE (SELECT sum(least(y.cap, b.r * y.w)) FROM ranked y) <= b.budget
 ), level AS (
-    SELECT arg_min((budget - full_before) / open_weight, cap / w) AS l FROM filled WHERE (budget - full_before) / open_weight < cap / w
-), targets AS (SELECT source, words, least(cap, l * w)::DOUBLE AS target FROM filled, level
+    SELECT (max(budget) - coalesce(sum(cap) FILTER (cap / w <= r), 0)) / sum(w) FILTER (cap / w > r) AS l FROM ranked, full_at
+), targets AS (SELECT source, words, least(cap, l * w)::DOUBLE AS target FROM ranked, level
 ), queued AS (
     SELECT d.*, t.words, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, i)::BIGINT AS upto
-    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 AND target > 0
 ), line AS (
     SELECT q.*, p, (p * words + upto) / target AS finish FROM queued q, (VALUES (0), (1)) v(p)
 ), summed AS (
-    SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, h, i ROWS UNBOUNDED PRECEDING) AS total FROM line WHERE finish < 2
+    SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, h, i ROWS UNBOUNDED PRECEDING) AS total FROM line
 ), taken AS (
     SELECT doc_id, sum(size)::BIGINT AS n FROM summed WHERE total <= (SELECT sum(target) FROM targets) GROUP BY doc_id
 )

@@ -260,6 +260,62 @@ def test_mix(spark):
 # ---- 5, 10
 
 
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """Copies of each (id, source, size), by a queue in plain Python; ids are distinct."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    per, goal, weight = collections.Counter(), {}, {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    for _, s, n in rows:
+        per[s] += n
+    open_, left = set(names), share * sum(per.values())
+    while open_:
+        part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if part[s] >= most * per[s]]
+        if not over:
+            goal |= part
+            break
+        for s in over:
+            goal[s] = float(most * per[s])
+            left -= goal[s]
+            open_.discard(s)
+    queue = []
+    for place, s in enumerate(names):
+        order = sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), str(i), n, i) for i, x, n in rows if x == s and n)
+        upto = 0
+        for p in range(most):
+            for h, t, n, i in order:
+                upto += n
+                if goal[s] > 0:
+                    queue.append((upto / goal[s], place, h, t, n, i))
+    taken, total = collections.Counter(), 0
+    for *_, n, i in sorted(queue):
+        total += n
+        if total > sum(goal.values()) + 1e-6:
+            break
+        taken[i] += 1
+    return goal, taken
+
+
+@pytest.mark.parametrize("case", ["many", "huge", "one", "empty sources"])
+def test_mix_equals_a_plain_queue(spark, case):
+    rng = random.Random(case)
+    if case == "many":
+        rows = [(k, rng.choice(["a", "b", "c", "d", None]), rng.randrange(40)) for k in range(300)]
+    elif case == "huge":  # documents larger than their source's target
+        rows = [(k, rng.choice("ab"), rng.randrange(1, 9)) for k in range(60)] + [(100, "c", 4000), (101, "c", 10), (102, "d", 9000)]
+    elif case == "one":
+        rows = [(0, "a", 7), (1, "a", 7), (2, "a", 7)]
+    else:
+        rows = [(k, s, 300 if s != "a" else 0) for k, s in enumerate("abcd")] + [(9, None, 0)]
+    docs = table(spark, [])
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), None, s, 0, 0, "", "") for i, s, n in rows], docs.schema)
+    goal, taken = brute_mix(rows)
+    got = mixing.fair_mix(docs.repartition(5)).collect()
+    for r in got:
+        assert r["_target"] == pytest.approx(goal[r.source]) and r["_copies"] == taken[r.doc_id], (r, goal)
+    if case == "empty sources":
+        assert goal == {"a": 0, "b": 500, "c": 250, "d": 600, None: 0}
+
+
 def test_source_without_words_takes_a_turn(spark):
     """Sources a, b, c take the weights 5, 2, 1 though b has no words."""
     docs = table(spark, ["one two three four"] * 60 + [None, "", " \n"] + ["one two three four"] * 60, source={k: "a" if k < 60 else "b" if k < 63 else "c" for k in range(123)})
