@@ -42,6 +42,10 @@ HEX = "0123456789abcdef"
 ROUNDS = 8
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 400, 300  # 120,000 days, to 2128-07-19
 IBAN_LETTERS_FROM = 10
+# 3,936 months (to 2127-12) hold so many days after the twelfth: 733 * 99. Month-first dates that can't be read day first are among them.
+LATE_HIGH, LATE_LOW, TWELFTH = 733, 99, 12
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 # A cheap search that every one of the FORMS implies: a number has three digits in a row or a separator between two.
 HIT = r"[0-9]{3}|[0-9][ .-][0-9]|@|AKIA|(?i:password=)|[A-Z]{2}[0-9]{2}|\+[1-9]|[0-9a-f]{40}"
 
@@ -155,6 +159,24 @@ def _date(x: Column, key: str, pattern: str) -> Column:
     return let(day, lambda d: F.when((d >= 0) & (d < DAYS_HIGH * DAYS_LOW), moved(d)))
 
 
+def _month_first(x: Column, key: str) -> Column:
+    """MM/dd/yyyy with a day over 12, so that it can't be dd/MM/yyyy too: permuted among all such dates, numbered without the days up to the twelfth."""
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.try_to_timestamp(x, F.lit("MM/dd/yyyy")).cast("date")
+    month = lambda d: (F.year(d) - 1800) * 12 + F.month(d) - 1
+    start = lambda m: F.add_months(first, m.cast("int"))
+    before = lambda m: F.datediff(start(m), first).cast("long") - m * TWELFTH  # noqa: E731  late days before a month
+    number = lambda d: before(month(d)) + F.dayofmonth(d) - TWELFTH - 1
+    guess = lambda n: F.floor(n / (146097 / 4800 - TWELFTH)).cast("long")  # noqa: E731  a mean month has 146097 / 4800 days
+
+    def written(n: Column) -> Column:
+        months = F.filter(F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda k: guess(n) + k), lambda m: (m >= 0) & (before(m) <= n))
+        return let(F.array_max(months), lambda m: F.date_format(F.date_add(start(m), (n - before(m) + TWELFTH).cast("int")), "MM/dd/yyyy"))
+
+    found = F.when((F.dayofmonth(day) > TWELFTH) & (F.year(day) >= 1800), number(day))
+    return let(found, lambda n: F.when((n >= 0) & (n < LATE_HIGH * LATE_LOW), let(feistel_number(n, LATE_HIGH, LATE_LOW, key, "month first"), written)))
+
+
 def _ipv4(x: Column, key: str) -> Column:
     parts = F.transform(F.split(x, r"\."), lambda p: p.cast("long"))
     value = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
@@ -185,11 +207,13 @@ def _nanp(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    """The digits after the country code, which is taken to be what stands before the first separator, or two digits."""
-    lead = F.least(F.length(F.regexp_extract(x, r"^\+([0-9]+)", 1)), F.lit(2))
+    """The digits after the country code, however they are grouped; numbers under +1 as those without it."""
     d = _only_digits(x)
+    codes = F.array(*(F.lit(c) for c in SHORT_CODES.split()))
+    lead = F.when(F.array_contains(codes, F.substr(d, F.lit(1), F.lit(1))), 1).when(F.array_contains(codes, F.substr(d, F.lit(1), F.lit(2))), 2).otherwise(3)
     new = F.concat(F.substr(d, F.lit(1), lead), feistel_digits(F.substr(d, lead + 1, F.length(d)), key, "phone"))
-    return F.when(F.length(d).between(8, 15), let(new, lambda n: _written_as(x, n)))
+    other = F.when(F.length(d).between(8, 15) & (F.substr(d, F.lit(1), F.lit(1)) != "1"), let(new, lambda n: _written_as(x, n)))
+    return F.when(d.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"), _nanp(x, key)).otherwise(other)
 
 
 def _card(x: Column, key: str) -> Column:
@@ -217,7 +241,7 @@ def pseudonym(x: Column, key: str) -> Column:
         ("hex_token", HEX_TOKEN, lambda: feistel_text(x, key, "hex", (HEX,))),
         ("ipv4", IPV4, lambda: _ipv4(x, key)),
         ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", lambda: _date(x, key, "yyyy-MM-dd")),
-        ("date", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", lambda: F.coalesce(_date(x, key, "dd/MM/yyyy"), _date(x, key, "MM/dd/yyyy"))),
+        ("date", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", lambda: F.coalesce(_date(x, key, "dd/MM/yyyy"), _month_first(x, key))),
         ("date", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", lambda: _date(x, key, "dd.MM.yyyy")),
         ("social", SOCIAL, lambda: _social(x, key)),
         ("phone", NANP, lambda: _nanp(x, key)),
@@ -295,7 +319,8 @@ def pseudonymise(df: DataFrame, key: str = "tessera", text: str = "text") -> Dat
     """``df`` with personal data in ``text`` replaced by pseudonyms of the same form, and n_pii and pii_kinds.
 
     Found are e-mail addresses, access keys, passwords, 40-digit tokens, IBANs, IPv4 addresses, dates, social security numbers,
-    phone and card numbers; numbers and dates only if valid (checksums, octets, calendar from 1800-01-01 to 2128-07-19).
+    phone and card numbers; numbers and dates only if valid (checksums, octets, numbering plan of +1, calendar from 1800-01-01 to 2128-07-19, or to
+    2127-12-31 for month/day/year with a day over 12; other slashed dates are read as day/month/year).
     Under one key a kind's replacement is a permutation within its form, and the results are valid again: equal values get equal pseudonyms
     in all documents, different values different ones. Lengths stay the same. A null text stays null, with 0 found; a
     table without rows gives none. Columns called n_pii and pii_kinds are replaced.

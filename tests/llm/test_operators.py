@@ -1,4 +1,7 @@
+import calendar
 import collections
+import datetime
+import functools
 import hashlib
 import io
 import random
@@ -10,6 +13,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, language, media, mixing, pii, rules, selection, sharding, tokenizer
@@ -123,6 +128,140 @@ def test_pseudonyms_keep_form_and_links(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_all_dates_are_permuted(spark):
+    """All strings that are dates in a form have different pseudonyms, which are dates in the same form; a day has one in all day-first forms."""
+    days = spark.range(0, 120_000, 11).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for patterns in (["yyyy-MM-dd"], ["dd.MM.yyyy"], ["dd/MM/yyyy", "MM/dd/yyyy"]):
+        x = functools.reduce(lambda a, b: a.union(b), [days.select(F.date_format("d", p).alias("x")) for p in patterns]).distinct()
+        got = [(r.x, r.v) for r in x.select("x", pii.pseudonym(F.col("x"), "k")["value"].alias("v")).collect() if not ("MM/dd/yyyy" in patterns and r.x[-4:] == "2128")]  # the range ends there
+        new = [v for _, v in got]
+        assert None not in new and len(set(new)) == len(new) == len({v for v, _ in got})
+        day_first = lambda v: int(v[3:5]) <= 12
+        assert patterns[-1][0] != "M" or all(day_first(a) == day_first(b) for a, b in got)
+        for v in new:
+            p = patterns[-1] if patterns[-1][0] == "M" and not day_first(v) else patterns[0]
+            assert datetime.datetime.strptime(v, p.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d"))
+    one = spark.range(1).select(*(pii.pseudonym(F.lit(v), "k")["value"].alias(c) for c, v in (("a", "2024-02-29"), ("b", "29.02.2024"), ("c", "29/02/2024")))).first()
+    assert one.b.split(".") == one.c.split("/") == one.a.split("-")[::-1]
+
+
+def test_late_days_are_permuted(spark):
+    """All month-first dates with a day over 12, by brute force over their whole domain's first years."""
+    rows = spark.range(0, 119_799).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12 and year(d) % 8 = 3")
+    got = [(r.x, r.v) for r in rows.select(F.date_format("d", "MM/dd/yyyy").alias("x")).select("x", pii._month_first(F.col("x"), "k").alias("v")).collect()]
+    assert len({v for _, v in got}) == len(got) > 5_000 and all(datetime.datetime.strptime(v, "%m/%d/%Y").day > 12 for _, v in got)
+    assert pii.LATE_HIGH * pii.LATE_LOW == sum(max(calendar.monthrange(y, m)[1] - 12, 0) for y in range(1800, 2128) for m in range(1, 13))
+
+
+def test_one_phone_number_in_all_groupings(spark):
+    groups = [["+7 495 123 45 67", "+74951234567", "+7-495-123-4567"], ["+33 1 23 45 67 89", "+33123456789"], ["+1 212 555 0123", "+12125550123", "212-555-0123", "(212) 555-0123"], ["+358 40 123 4567", "+358401234567"]]
+    got = {(r.x, r.v) for r in spark.createDataFrame([(x,) for g in groups for x in g], "x string").select("x", pii.pseudonym(F.col("x"), "k")["value"].alias("v")).collect()}
+    digits = {x: re.sub("[^0-9]", "", v) for x, v in got}
+    for g in groups:
+        assert len({digits[x][-10:] for x in g}) == 1, g
+        assert all(re.sub("[0-9]", "0", x) == re.sub("[0-9]", "0", v) and x != v for x, v in got if x in g)
+    assert digits[groups[0][0]].startswith("7") and digits[groups[1][0]].startswith("33") and digits[groups[3][0]].startswith("358")
+
+
+@pytest.mark.parametrize("form", ["EMAIL", "ACCESS_KEY", "PASSWORD", "HEX_TOKEN", "IBAN", "IPV4", "DATE", "SOCIAL", "NANP", "PHONE", "CARD"])
+def test_the_prefilter_is_implied(form):
+    """Strings made at random from each form's own pattern satisfy the cheap search; most of them have no three digits in a row by chance of form."""
+    pattern = re.compile(getattr(pii, form))
+
+    @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+    @given(st.from_regex(pattern, fullmatch=True))
+    def check(x):
+        assert re.search(pii.HIT, x), x
+
+    check()
+
+
+def _python_text(x, key, kind, alphabets):
+    def half(a, b, i):
+        out = []
+        for j, c in enumerate(a):
+            alphabet = next((s for s in alphabets if c in s), None)
+            by = int(hashlib.sha256("|".join([key, kind, str(i), str(j // 16), b, key]).encode()).hexdigest()[j % 16 * 4 :][:4], 16)
+            out.append(alphabet[(alphabet.index(c) + by) % len(alphabet)] if alphabet else c)
+        return "".join(out)
+
+    a, b = x[: len(x) // 2], x[len(x) // 2 :]
+    for i in range(pii.ROUNDS):
+        a, b = (half(a, b, i), b) if i % 2 == 0 else (a, half(b, a, i))
+    return a + b
+
+
+def brute_pseudonym(x, key="tessera"):
+    """(kind, value) of a string of one form, in plain Python."""
+    three = (pii.DIGITS, pii.UPPER, pii.LOWER)
+    digits = lambda d, kind: str(_python_feistel(int(d), 10 ** (len(d) // 2), 10 ** (len(d) - len(d) // 2), key, kind)).zfill(len(d))
+    put = lambda form, new: "".join(next(it) if c.isdigit() else c for it in [iter(new)] for c in form)
+    only = re.sub("[^0-9]", "", x)
+    if re.fullmatch(pii.EMAIL, x):
+        end = re.search(r"\.[A-Za-z]+$", x)[0]
+        return "email", _python_text(x[: -len(end)], key, "email", three) + end
+    if re.fullmatch(pii.ACCESS_KEY, x):
+        return "access_key", "AKIA" + _python_text(x[4:], key, "access_key", three)
+    if re.fullmatch(pii.PASSWORD, x):
+        return "password", x[:9] + _python_text(x[9:], key, "password", (pii.HEX,) if re.fullmatch("[0-9a-f]+", x[9:]) else three)
+    if re.fullmatch(pii.HEX_TOKEN, x):
+        return "hex_token", _python_text(x, key, "hex", (pii.HEX,))
+    if re.fullmatch(pii.IPV4, x):
+        parts = [int(p) for p in x.split(".")]
+        n = _python_feistel(int.from_bytes(parts, "big"), 65536, 65536, key, "ipv4") if max(parts) < 256 else None
+        return n is not None and ("ipv4", ".".join(map(str, n.to_bytes(4, "big"))))
+    if re.fullmatch(pii.DATE, x):
+        for p in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"):
+            try:
+                day = datetime.datetime.strptime(x, p)
+            except ValueError:
+                continue
+            n = _python_feistel((day - datetime.datetime(1800, 1, 1)).days, 400, 300, key, "date")
+            return "date", (datetime.datetime(1800, 1, 1) + datetime.timedelta(n)).strftime(p)
+        return None
+    if re.fullmatch(pii.CARD, x):
+        if not luhn(only):
+            return None
+        body = digits(only[:-1], "card")
+        return "card", put(x, body + next(d for d in pii.DIGITS if luhn(body + d)))
+    if re.fullmatch(pii.PHONE, x) and only[0] != "1":
+        codes = pii.SHORT_CODES.split()
+        lead = 1 if only[0] in codes else 2 if only[:2] in codes else 3
+        return 8 <= len(only) <= 15 and ("phone", put(x, only[:lead] + digits(only[lead:], "phone")))
+    return None
+
+
+def test_whole_texts_equal_brute_force(spark):
+    """Texts with forms at random places, rewritten by a scan in plain Python; what has a row of tokens of cards or IBANs holds one card."""
+    rng = random.Random(12)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+
+    def card():
+        body = pick("3456", 1) + pick(pii.DIGITS, 14)
+        d = body + next(c for c in pii.DIGITS if luhn(body + c))
+        return d if rng.random() < 0.5 else " ".join(d[k : k + 4] for k in range(0, 16, 4))
+
+    makers = [
+        lambda: f"{pick(pii.LOWER, 5)}.{pick(pii.LOWER, 3)}@{pick(pii.LOWER, 6)}.example.org", lambda: "AKIA" + pick(pii.UPPER + pii.DIGITS, 16), lambda: "password=" + pick(pii.HEX, 12), lambda: "Password=" + pick("abcXYZ019!#", 20),
+        lambda: pick(pii.HEX, 40), lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randrange(1800, 2100)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 32):02}", lambda: f"{rng.randrange(1, 29):02}/{rng.randrange(1, 13):02}/{rng.randrange(1800, 2100)}",
+        card, lambda: f"+{rng.choice([44, 7, 358])} {pick(pii.DIGITS, 3)} {pick(pii.DIGITS, 4)} {pick(pii.DIGITS, 3)}",
+    ]
+    texts = []
+    for _ in range(120):
+        parts = [rng.choice(makers)() if rng.random() < 0.4 else rng.choice(["see", "naïve", "(", "x;", "at,", "\n"]) for _ in range(rng.randrange(1, 25))]
+        texts.append(functools.reduce(lambda a, b: a + rng.choice(["; ", " and ", ", ", ": "]) + b, parts))
+    form = re.compile(pii.FORMS)
+    for r in pii.pseudonymise(table(spark, texts)).collect():
+        kinds, out, at = [], [], 0
+        for m in form.finditer(texts[r.doc_id]):
+            found = brute_pseudonym(m[0])
+            out += [texts[r.doc_id][at : m.start()], found[1] if found else m[0]]
+            kinds += [found[0]] if found else []
+            at = m.end()
+        assert r.text == "".join(out) + texts[r.doc_id][at:], texts[r.doc_id]
+        assert (r.n_pii, r.pii_kinds) == (len(kinds), ",".join(sorted(set(kinds))))
+
+
 # ---- 2, 3
 
 
