@@ -50,13 +50,18 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
     return data + bytes(-len(data) % unit if data else unit)
 
 
-def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frame and bin of the spectral peaks, in order: a band's loudest bin, no softer than the band in the frames beside it."""
+def frames_of(samples: bytes) -> np.ndarray:
+    """Overlapping frames that hold all samples; silence fills the last one."""
     x = np.frombuffer(samples, dtype=np.uint8)
     short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
-    if short:  # silence up to the end of a frame
+    if short:
         x = np.concatenate([x, np.full(short, 128, dtype=np.uint8)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Frame and bin of the spectral peaks, in order: a band's loudest bin, no softer than the band in the frames beside it."""
+    frames = frames_of(samples)
     level, place = [], []
     for at in range(0, len(frames), BLOCK):
         part = (frames[at : at + BLOCK].astype(np.float32) - 128) * _WINDOW

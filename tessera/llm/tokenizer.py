@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, takewhile
+from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain, pairwise, takewhile
 
 import pandas as pd
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._spark import batches_of, durable
 
+#: Bytes of a piece up to which all its neighbours are looked through for each merge.
+LOOKED_THROUGH = 64
 #: Words remembered by a worker; beyond that the memory is emptied.
 REMEMBERED = 200_000
 
@@ -137,20 +140,63 @@ def _machine(file: bytes) -> tuple[LongestMatch, dict[bytes, int]]:
 # ---- byte-level BPE -------------------------------------------------------------------------------------------------
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a byte string: of all neighbours, those whose union has the least rank are merged, the leftmost of equal ones first, until none has a rank."""
+    if len(piece) > LOOKED_THROUGH:
+        return _merged_by_heap(piece, ranks)
+    n, get, none = len(piece), ranks.get, 1 << 62
+    at, rank = list(range(n + 1)), [get(piece[k : k + 2], none) for k in range(n - 1)]  # where parts begin, and the rank of each with its next
+    while rank:
+        least = min(rank)
+        if least == none:
+            break
+        k = rank.index(least)
+        del at[k + 1], rank[k]
+        if k < len(rank):
+            rank[k] = get(piece[at[k] : at[k + 2]], none)
+        if k:
+            rank[k - 1] = get(piece[at[k - 1] : at[k + 1]], none)
+    return [ranks[piece[a:b]] for a, b in pairwise(at)]
+
+
+def _merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in the time of a sort: the parts are a linked list by their ends; a heap holds the unions, of which those out of date are passed over."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place; end is 0 where none does
+    heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(piece[k : k + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, k, stop = heappop(heap)
+        middle = end[k]
+        if not middle or middle >= n or end[middle] != stop:
+            continue
+        end[k], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = k
+            if (r := ranks.get(piece[k : end[stop]])) is not None:
+                heappush(heap, (r, k, end[stop]))
+        if (left := before[k]) >= 0 and (r := ranks.get(piece[left:stop])) is not None:
+            heappush(heap, (r, left, stop))
+    ids, k = [], 0
+    while k < n:
+        ids.append(ranks[piece[k : end[k]]])
+        k = end[k]
+    return ids
+
+
 class Coder:
     """Encodes pre-tokens by the ranks, and remembers their ids."""
 
     def __init__(self, file: bytes, pattern: str):
         self.ranks = ranks_of(file)
         self.pattern = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.known.get(piece)
         if ids is None:
             data = piece.encode("utf-8", "replace")
-            ids = (self.ranks[data],) if data in self.ranks else tuple(self.merge(data))
+            ids = (self.ranks[data],) if data in self.ranks else tuple(merged(data, self.ranks))
             if len(piece) <= 64:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -180,38 +226,81 @@ def chunks_of(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
     return [(at, text[at : at + size + overlap]) for at in range(0, max(len(text) - overlap, 1), size)]
 
 
-def boundaries(pattern: regex.Pattern, chunk: str) -> list[int]:
-    """Where the pre-tokens of the chunk end, as if it began a text."""
-    return [m.end() for m in pattern.finditer(chunk)]
+def spans(pattern: regex.Pattern, text: str, start: int, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Where the pre-tokens from ``start`` on begin and end, up to those that begin at ``end``."""
+    return takewhile(lambda x: end is None or x[0] < end, (m.span() for m in pattern.finditer(text, start)))
+
+
+def scanned(pattern: regex.Pattern, at: int, chunk: str, size: int, overlap: int) -> tuple[list[str], list[int], list[int], list[int]]:
+    """The pre-tokens of a chunk as if it began a text, where they end, and which of these boundaries may be stitched to the chunk before and to the next.
+
+    The last two boundaries may be there only because the chunk ends.
+    """
+    found = pattern.findall(chunk)
+    ends = list(accumulate(map(len, found), initial=at))[1:]
+    if chunk and ends[-1:] != [at + len(chunk)]:
+        raise ValueError("the pattern must match every character")
+    return found, ends, ends[: bisect_left(ends, at + overlap)], ends[bisect_left(ends, at + size) : -2]
+
+
+def pre_tokens(pattern: regex.Pattern, text: str, size: int, overlap: int) -> list[str]:
+    """The pre-tokens of a text, from overlapping chunks that are scanned each by itself and stitched where two scans first agree on a boundary.
+
+    Where two don't agree within the overlap, the scan before goes on, over the text itself, until it meets a boundary of the next one.
+    """
+    chunks = chunks_of(text, size, overlap)
+    found, ends, _, tails = scanned(pattern, *chunks[0], size, overlap)
+    out, upto = [], 0  # what is certain, and the boundary where it ends
+    for k in range(1, len(chunks)):
+        at, chunk = chunks[k]
+        next_found, next_ends, heads, next_tails = scanned(pattern, at, chunk, size, overlap)
+        met = min(set(tails) & set(heads), default=None)
+        if met is not None:
+            out += found[bisect_right(ends, upto) : bisect_right(ends, met)]
+        else:
+            mine, on = set(next_ends if k + 1 == len(chunks) else next_ends[:-2]), []
+            for a, b in spans(pattern, text, upto):
+                on.append(text[a:b])
+                if b in mine or b >= at + len(chunk):
+                    met = b if b in mine else None
+                    break
+            if met is None:  # past that chunk; the one after it comes next
+                tails = []
+                continue
+            out += on
+        found, ends, tails, upto = next_found, next_ends, next_tails, met
+    return out + found[bisect_right(ends, upto) :]
 
 
 def encode_documents(
-    df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", chunk: int = 65_536, overlap: int = 1_024
+    df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", chunk: int = 4_096, overlap: int = 256, together: int = 64
 ) -> DataFrame:
     """The id and the ids (array<int>) of each whole text, as encoding it at once without special tokens gives them.
 
-    Texts are cut into overlapping chunks, dealt to tasks each by itself, and pre-tokenised there; where two scans first
-    agree on a boundary within the overlap they are stitched, and each chunk encodes its own pre-tokens between its
-    two stitches. If two scans don't meet (one pre-token spans the overlap), the rest of that text is scanned as one.
-    The pattern must look back at nothing and ahead at no more than two characters. A null text is taken as
+    Texts are cut into overlapping chunks, which are pre-tokenised each by itself; where two scans first
+    agree on a boundary within the overlap they are stitched, and the pre-tokens between stitches are encoded. The chunks of a text
+    of ``together`` chunks or less are scanned in one task; longer texts are dealt in parts of so many chunks to many tasks, and those parts stitched in the same way.
+    The pattern must match every character, look back at nothing and ahead at no more than two characters. A null text is taken as
     empty: no ids; repeated rows stay apart; a table without rows gives none; other columns are left out.
     """
+    if not 0 < overlap <= chunk:
+        raise ValueError("the overlap must be from 1 to the size of a chunk")
     spark = df.sparkSession
     file = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
     batches_of(2_000, spark)
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk + overlap)
+    part = chunk * together
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(file.value, pattern)
         for batch in batches:
             for few in _few(batch):
-                ids = [coder.encode(coder.pattern.findall(t.as_py())) for t in few.column(1)]
+                ids = [coder.encode(pre_tokens(coder.pattern, t.as_py(), chunk, overlap)) for t in few.column(1)]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    done = short.mapInArrow(whole, f"id {kind}, ids array<int>")
-    parts = _long_parts(rows.where(F.length("text") > chunk + overlap), file, pattern, chunk, overlap)
+    done = rows.where(F.length("text") <= part + overlap).mapInArrow(here, f"id {kind}, ids array<int>")
+    parts = _long_parts(rows.where(F.length("text") > part + overlap), file, pattern, part, overlap)
     whole_ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]))
     joined = parts.groupBy("id", "row").agg(whole_ids.alias("ids")).select("id", "ids")  # a text at a time
     return done.unionByName(joined).withColumnRenamed("id", doc_id)
@@ -242,10 +331,9 @@ def _long_parts(rows: DataFrame, file: Broadcast, pattern: str, chunk: int, over
         for batch in batches:
             heads, tails = [], []
             for at, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                ends = [at + x for x in boundaries(found, t)]
-                heads.append([x for x in ends if x < at + overlap])
-                # The last two boundaries of a chunk may be there only because the chunk ends.
-                tails.append([x for x in ends[:-2] if x >= at + chunk])
+                *_, head, tail = scanned(found, at, t, chunk, overlap)
+                heads.append(head)
+                tails.append(tail)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["row", "part", "heads", "tails"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +343,7 @@ def _long_parts(rows: DataFrame, file: Broadcast, pattern: str, chunk: int, over
             for chunks, start, end in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 t, first = "".join(c["chunk"][: chunk if k + 1 < len(chunks) else None] for k, c in enumerate(chunks)), chunks[0]["at"]
                 # What follows the end stays in sight of the pattern.
-                held = takewhile(lambda m: end is None or first + m.start() < end, coder.pattern.finditer(t, start - first))  # noqa: B023
-                ids.append(coder.encode(m.group() for m in held))
+                ids.append(coder.encode(t[a:b] for a, b in spans(coder.pattern, t, start - first, None if end is None else end - first)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["id", "row", "part", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()

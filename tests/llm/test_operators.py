@@ -1,9 +1,11 @@
 import calendar
+import cmath
 import collections
 import datetime
 import functools
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -12,6 +14,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -479,13 +482,31 @@ def test_longest_match_counts(spark):
         assert machine.count(w) == greedy(w), w
 
 
+def test_merging_equals_the_library():
+    coder, rng = tokenizer.Coder(tokenizer.vocabulary(BPE), public_tokenizers.PATTERN), random.Random(13)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    for _ in range(3000):
+        x = "".join(rng.choice("abcdetinos inger \né🙂") for _ in range(rng.randrange(1, 50)))
+        assert coder.encode(coder.pattern.findall(x)) == encoding.encode_ordinary(x)
+    for x in ("z" * 50_000, "ab" * 20_000, "\x00" * 999):
+        assert tokenizer.merged(x.encode(), coder.ranks) == encoding.encode_ordinary(x)
+
+
+def test_stitched_chunks_equal_one_scan():
+    pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(14)
+    for _ in range(300):
+        x = "".join(rng.choice(["the ", "  ", "\n", "'ll", "x", "é", "12", "!!", "🙂", " " * 40, "y" * 70, "!" * 30]) for _ in range(rng.randrange(300)))
+        for size, overlap in ((50, 10), (64, 64), (200, 40)):
+            assert tokenizer.pre_tokens(pattern, x, size, overlap) == pattern.findall(x)
+
+
 def test_bpe_in_chunks(spark):
     rng = random.Random(7)
     texts = [None, "", "a b" * 3000 + " " * 2500 + "don't we'll " * 500, "z" * 6000 + " tail" * 500, "1 2 3  \n\n x" * 900]
     texts += ["".join(rng.choice(["the ", "  ", "\n", "'ll", "x", "é", "12", "!!", "🙂"]) for _ in range(3000)) for _ in range(4)]
     docs = table(spark, texts)
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.ranks_of(tokenizer.vocabulary(BPE)), special_tokens={})
-    for options in ({}, {"chunk": 500, "overlap": 40}):
+    for options in ({}, {"chunk": 500, "overlap": 40}, {"chunk": 100, "overlap": 20, "together": 5}):
         out = tokenizer.decode_documents(tokenizer.encode_documents(docs, BPE, public_tokenizers.PATTERN, **options), BPE).collect()
         assert {r.doc_id: r.ids for r in out} == {k: encoding.encode_ordinary(t or "") for k, t in enumerate(texts)}
         assert {r.doc_id: bytes(r.data).decode() for r in out} == {k: t or "" for k, t in enumerate(texts)}
@@ -516,6 +537,45 @@ def test_the_last_samples_are_in_a_frame():
         assert any(not np.array_equal(a, b) for a, b in zip(media.fingerprint(x.tobytes()), media.fingerprint(y.tobytes()), strict=True))
 
 
+def brute_fingerprint(samples):
+    """By plain loops: frames of 256 at hops of 128, silence at the end; DFT by its definition; peaks by band; pairs."""
+    x = [v - 128 for v in samples]
+    frames = max(-(-(len(x) - 256) // 128), 0) + 1
+    x += [0] * (128 * (frames - 1) + 256 - len(x))
+    loud = []
+    for f in range(frames):
+        w = [x[128 * f + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / 255)) for i in range(256)]
+        power = [abs(sum(w[i] * cmath.exp(-2j * math.pi * k * i / 256) for i in range(256))) ** 2 for k in range(129)]
+        loud.append([max((power[k], -k) for k in range(lo, hi)) for lo, hi in media.BANDS])
+    found = []
+    for f, bands in enumerate(loud):
+        for b, (p, k) in enumerate(bands):
+            if p > 1 and (f == 0 or p >= loud[f - 1][b][0]) and (f + 1 == frames or p > loud[f + 1][b][0]):
+                found.append((f, -k))
+    out = []
+    for i, (f, k) in enumerate(found):
+        for g, j in found[i + 1 : i + 1 + media.FAN_OUT]:
+            if g - f <= media.REACH:
+                out.append((f, k << 14 | j << 6 | g - f))
+    return out
+
+
+@pytest.mark.parametrize("n", [64, 256, 320, 448, 832])
+def test_fingerprint_equals_plain_loops(n):
+    rng = random.Random(n)
+    samples = bytes(rng.choice(b"abcdefgh tuvwxyz ,.") for _ in range(n))
+    times, codes = media.fingerprint(samples)
+    assert sorted(zip(times.tolist(), codes.tolist(), strict=True)) == sorted(brute_fingerprint(samples)) != []
+
+
+def test_each_of_the_last_samples_reaches_the_spectrum():
+    base = bytes(100 + k % 50 for k in range(320))
+    for k in range(320 - 64, 320):
+        other = base[:k] + bytes([base[k] ^ 64]) + base[k + 1 :]
+        a, b = (np.fft.rfft((media.frames_of(x) - 128.0) * np.hanning(256)) for x in (base, other))
+        assert abs(a - b).max() > 1e-3, k
+
+
 def test_a_tone_has_its_peak():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / 8000) * (t % 2000 < 1000)).astype(np.uint8).tobytes()
