@@ -15,13 +15,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; where it is unset and Spark runs on this machine alone (tests), a temporary one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
     if not folder:
-        folder = spark.conf.get("tessera.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="tessera-")
-            spark.conf.set("tessera.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("tessera.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

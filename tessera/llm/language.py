@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._spark import batches_of, fresh
@@ -86,13 +86,17 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def labelled_sample(df: DataFrame, rows: int, text: str, lang: str, doc_id: str) -> list[tuple[str, bytes, bytes]]:
-    """(language, features, counts) of about ``rows`` rows, as many of each language as there are, at most ``2 * rows`` in all."""
-    per = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}  # languages
-    if not per:
+def labelled_sample(df: DataFrame, rows: int, text: str, lang: str) -> list[tuple[str, bytes, bytes]]:
+    """(language, features, counts) of about ``rows`` rows: of each language the same number of different texts, those with the least hashes; all if it has fewer."""
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1 << 62))
+    sizes = {r[0]: r[1] for r in df.groupBy(lang).agg(F.approx_count_distinct(place)).collect()}  # languages
+    if not sizes:
         return []
-    share = F.create_map(*(F.lit(x) for k, n in per.items() for x in (k, min(1.0, rows / len(per) / n))))
-    drawn = df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000).select(lang, text)
+    each = max(rows // len(sizes), 1)
+    # Some more than needed are drawn by a threshold, copies merged, and so many kept.
+    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * (each + 20) / n))))
+    drawn = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).where(F.col("place") < F.element_at(share, F.col("lang")) * float(1 << 62)).dropDuplicates(["lang", "place"])
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= each).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +105,10 @@ def labelled_sample(df: DataFrame, rows: int, text: str, lang: str, doc_id: str)
                 c = ngram_counts(v.as_py())
                 k = np.flatnonzero(c)
                 at.append(k.astype(np.uint16).tobytes())
-                n.append(np.minimum(c[k], 65_535).astype(np.uint16).tobytes())
+                n.append(c[k].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "features", "counts"])
 
-    return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in drawn.mapInArrow(count, "lang string, features binary, counts binary").limit(2 * rows).collect())
+    return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in drawn.mapInArrow(count, "lang string, features binary, counts binary").collect())
 
 
 def follow_the_regularised_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, l1: float, l2: float, alpha: float, beta: float, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +156,13 @@ def train(
 ) -> LanguageModel:
     """A model from rows with text and language; all of ``df`` may be learned from.
 
-    Document frequencies are of all rows. The regression is fitted on a sample of about ``fit_rows`` rows (at most twice as
-    many), evenly from all languages, four fifths for the weights and one for the temperature. Without rows there are no languages.
+    Document frequencies are of all rows. The regression is fitted on a sample of ``fit_rows`` different texts at most (one of each language at
+    least), evenly from all languages, four fifths for the weights and one for the temperature. Without rows there are no languages.
     """
     batches_of(1_000, df.sparkSession)
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     frequency, total = document_frequencies(rows, text)
-    sample = labelled_sample(rows, fit_rows, text, lang, doc_id)
+    sample = labelled_sample(rows, fit_rows, text, lang)
     languages = sorted({r[0] for r in sample})
     model = LanguageModel(languages, np.log((1.0 + total) / (1.0 + frequency)) + 1.0, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     if not languages:
@@ -166,7 +170,7 @@ def train(
     found = []
     for name, at, n in sample:
         counts = np.zeros(FEATURES, dtype=np.int64)
-        counts[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint16)
+        counts[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
         found.append((*model.vector(counts), languages.index(name)))
     held = [k for k in range(len(found)) if k % 5 == 4]
     fitted = [r for k, r in enumerate(found) if k % 5 != 4]

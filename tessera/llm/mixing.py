@@ -24,15 +24,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     ``share`` of all words by weight; none gets over ``most`` times its own words, and what is over is divided again.
     """
     per = sizes.groupBy("_source").agg(F.sum("_size").alias("_words")).withColumn("_one", F.lit(1).cast("long")).withColumn("_none", F.col("_source").isNull())
-    ranked = prefix_sums(per, [F.col("_none"), F.col("_source")], {"_rank": "_one"})
+    ranks = prefix_sums(per, [F.col("_none"), F.col("_source")], {"_rank": "_one"})
     turn = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = ranked.withColumn("_weight", F.element_at(turn, (F.col("_rank") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("_words") * float(most))
+    ranked = ranks.withColumn("_weight", F.element_at(turn, (F.col("_rank") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("_words") * float(most))
     total, count, all_weights = ranked.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.count("*"), F.sum("_weight")).first()
     # The level of water, in words for each unit of weight: sources are full in the order of their caps by weight, and it stands before the first that isn't.
     filled = prefix_sums(ranked.withColumn("_full_at", F.col("_cap") / F.col("_weight")), [F.col("_full_at"), F.col("_none"), F.col("_source")], {"_caps": "_cap", "_weights": "_weight"})
     level = (F.lit(share * total) - F.col("_caps")) / (F.lit(all_weights) - F.col("_weights"))
     found = filled.where(level < F.col("_full_at")).agg(F.min_by(level, "_full_at")).first()[0]
     target = F.col("_cap") if found is None else F.least(F.col("_cap"), F.lit(found) * F.col("_weight"))
+    discard(ranks)
     return filled.select("_source", F.col("_words").alias("_source_size"), target.alias("_target")), count
 
 
@@ -64,15 +65,15 @@ def _fair_mix(df: DataFrame, weights: Sequence[float], share: float, most: int,
     narrow = durable(df.select(F.col(source).alias("_source"), size.alias("_size"), place.alias("_place")).withColumn("_none", F.col("_source").isNull()))
     targets, count = source_targets(narrow.select("_source", "_size"), weights, share, most)
     targets = durable(targets)
-    queued = prefix_sums(narrow.where("_size > 0").groupBy("_none", "_source", "_place").agg(F.sum("_size").alias("_size")), [F.col("_none"), F.col("_source"), F.col("_place")], {"_before": "_size"}, within=["_source"])
-    queued = queued.join(_small(targets.withColumnRenamed("_source", "_s"), count), F.col("_source").eqNullSafe(F.col("_s")), "inner").drop("_s").where("_target > 0")
+    line_up = prefix_sums(narrow.where("_size > 0").groupBy("_none", "_source", "_place").agg(F.sum("_size").alias("_size")), [F.col("_none"), F.col("_source"), F.col("_place")], {"_before": "_size"}, within=["_source"])
+    queued = line_up.join(_small(targets.withColumnRenamed("_source", "_s"), count), F.col("_source").eqNullSafe(F.col("_s")), "inner").drop("_s").where("_target > 0")
     copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")).withColumn("_finish", (F.col("_pass") * F.col("_source_size") + F.col("_before") + F.col("_size")) / F.col("_target"))
     line = [F.col("_finish"), F.col("_none"), F.col("_source"), F.col("_place")]
     sorted_ = prefix_sums(copies, line, {"_sum": "_size"})
     budget = targets.agg(F.coalesce(F.sum("_target"), F.lit(0.0))).first()[0]
     cuts = sorted_.where(F.col("_sum") + F.col("_size") <= budget).groupBy("_source").pivot("_pass", list(range(most))).agg(F.max("_place"))
     cuts = durable(targets.join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
-    discard(narrow)
+    discard(narrow, targets, line_up, sorted_)
     taken = sum((F.when(F.col("_place") <= F.col(str(k)), 1).otherwise(0) for k in range(most)), F.lit(0))
     out = df.select("*", size.alias("_size"), place.alias("_place")).join(_small(cuts.withColumnRenamed("_source", "_s"), count), F.col(source).eqNullSafe(F.col("_s")), "left")
     return out.select(*df.columns, "_size", F.coalesce("_source_size", F.lit(0)).cast("long").alias("_source_size"), F.coalesce("_target", F.lit(0.0)).alias("_target"), F.when(F.col("_size") > 0, taken).otherwise(0).cast("int").alias("_copies"))

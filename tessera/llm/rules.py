@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import SPACES, fresh, let, words
+from tessera.llm._spark import SPACES, discard, durable, fresh, let, words
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: a boolean column; ``cost``: a column with the work of testing one row, in characters looked at."""
+    """``rejects``: a boolean column; ``cost``: the seconds that testing a row takes, or any other unit if all rules give it; estimated if not given."""
 
     name: str
     rejects: Column
-    cost: Column
+    cost: float | None = None
 
 
 def repeated_window_words(tokens: Column, width: int = 8) -> Column:
@@ -69,41 +70,62 @@ def default_rules(text: str = "text") -> list[Rule]:
     """The rules beyond the base: symbols, repeated lines, word length, exclamation marks, letters, capitals."""
     body = F.coalesce(F.col(text), F.lit(""))
     count = lambda pattern: F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
-    one, scan = F.lit(1.0), F.length(body).cast("double")
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words"), one),
-        Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, one),
-        Rule("word_length", (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 12), one),
-        Rule("exclamations", count("!") * 10 > F.col("n_words") * 3, scan),
-        Rule("letters", count(r"\p{L}") * 2 < F.col("word_chars"), scan * 4),
-        Rule("capitals", count(r"\p{Lu}") * 2 > F.col("word_chars"), scan * 3),
+        Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words")),
+        Rule("repeated_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
+        Rule("word_length", (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 12)),
+        Rule("exclamations", count("!") * 10 > F.col("n_words") * 3),
+        Rule("letters", count(r"\p{L}") * 2 < F.col("word_chars")),
+        Rule("capitals", count(r"\p{Lu}") * 2 > F.col("word_chars")),
     ]
 
 
-def cascade_order(measured: DataFrame, rules: Sequence[Rule], by: str, sample_rows: int = 4_000, total_rows: int | None = None) -> list[Rule]:
-    """The rules in falling order of rejected share per cost on a sample of about ``sample_rows`` rows, drawn by a hash of ``by``."""
-    total = total_rows if total_rows is not None else measured.count()
-    part = min(1.0, sample_rows / max(total, 1))
-    sample = measured.where(F.pmod(F.xxhash64(F.col(by)), F.lit(1_000_000)) < int(part * 1_000_000))
-    row = sample.agg(*(F.avg(r.rejects.cast("double")).alias(f"s{k}") for k, r in enumerate(rules)), *(F.avg(r.cost).alias(f"c{k}") for k, r in enumerate(rules))).first()
-    worth = [(-(row[f"s{k}"] or 0.0) / max(row[f"c{k}"] or 1.0, 1e-9), row[f"c{k}"] or 1.0, k) for k in range(len(rules))]
-    return [rules[k] for *_, k in sorted(worth)]
+def seconds(job: Callable[[], object], times: int = 2) -> float:
+    """The least time of some runs."""
+    took = []
+    for _ in range(times):
+        began = time.perf_counter()
+        job()
+        took.append(time.perf_counter() - began)
+    return min(took)
 
 
-def quality_cascade(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", doc_id: str = "doc_id", sample_rows: int = 4_000, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def estimated_costs(sample: DataFrame, rules: Sequence[Rule], rows: int, repeats: int = 10) -> list[float]:
+    """Seconds that each rule takes for a row of ``sample``, which holds ``rows``: of a job that tests every row ``repeats`` times, without those of one that only reads them."""
+    many = sample.withColumn(fresh(sample, "_again"), F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    texts = [F.length(c) for c, kind in sample.dtypes if kind == "string"]
+    idle = seconds(lambda: many.agg(F.count("*"), *(F.sum(x) for x in texts)).collect())
+    tested = [seconds(lambda: many.agg(F.count_if(r.rejects), *(F.sum(x) for x in texts)).collect()) for r in rules]  # noqa: B023
+    return [max(t - idle, 1e-3) / max(rows * repeats, 1) for t in tested]
+
+
+def cascade_order(measured: DataFrame, rules: Sequence[Rule], rows: int | None = None) -> list[Rule]:
+    """The rules in falling order of rejected share per cost on a sample, of ``rows`` if they are known; equal ones in the given order.
+
+    Costs that aren't given are timed, so that two close rules may change places from run to run.
+    """
+    row = measured.agg(F.count("*").alias("n"), *(F.avg(r.rejects.cast("double")).alias(f"s{k}") for k, r in enumerate(rules))).first()
+    given = [r.cost for r in rules]
+    costs = given if None not in given else estimated_costs(measured, rules, rows or row["n"])
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -(row[f"s{k}"] or 0.0) / max(costs[k], 1e-12))]
+
+
+def quality_cascade(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", sample_rows: int = 4_000, min_words: int = 20, max_repeat_percent: int = 30, seed: int = 7) -> DataFrame:
     """``df`` with the measures, base_failed, failed_rule and kept.
 
     A row fails the base with under ``min_words`` words or with more than ``max_repeat_percent`` % of them in repeated
-    windows. Rows that pass go through the rules in the order of cascade_order() and stop at the first that rejects them;
+    windows. Rows that pass go through the rules in the order of cascade_order(), by costs and rejected shares on about ``sample_rows`` rows, and stop at the first that rejects them;
     ``failed_rule`` names it ("base" for the base, null for kept rows). The order decides only the work and
     that name, never ``kept``. A null or empty text has no words and fails the base. Repeated rows give repeated rows; a table
     without rows gives none; columns of ``df`` that have the names of new ones are replaced.
     """
-    measured = measures(df, text)
-    rules = list(rules) if rules is not None else default_rules(text)
-    rules = cascade_order(measured, rules, doc_id, sample_rows, df.count())
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    out = measured.withColumn("base_failed", base)
+    rules = list(rules) if rules is not None else default_rules(text)
+    # A Bernoulli sample is about as large at any number of rows. The rules are tested on those of its rows that pass the base.
+    drawn = durable(measures(df.sample(min(1.0, sample_rows / max(df.count(), 1)), seed), text).where(~base))
+    rules = cascade_order(drawn, rules)
+    discard(drawn)
+    out = measures(df, text).withColumn("base_failed", base)
     stop = F.when(F.col("base_failed"), F.lit("base"))
     for rule in rules:
         stop = stop.when(rule.rejects, F.lit(rule.name))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import batches_of, durable, prefix_sums
+from tessera.llm._spark import batches_of, discard, durable, prefix_sums
 from tessera.llm._words import U, ngrams, word_hashes
 
 BUCKETS = 10_000
@@ -76,4 +76,5 @@ def importance_resampled(
     keyed = durable(scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform))).withColumn("_one", F.lit(1).cast("long")))
     rows = keyed.count()
     ranked = prefix_sums(keyed, [F.col("gumbel_key").desc(), F.col("id")], {"_rank": "_one"})
+    discard(keyed)
     return ranked.select(F.col("id").alias(doc_id), "log_ratio", "gumbel_key", (F.col("_rank") < F.ceil(F.lit(keep) * rows)).alias("selected"))
