@@ -1,4 +1,7 @@
-"""A pipeline over documents: language, near duplicates, personal data, mix, tokens. Counted as part of tessera.llm."""
+"""A pipeline over documents: language, near duplicates, personal data, mix, tokens. Counted as part of tessera.llm.
+
+Each stage takes any rows: null and empty texts, repeated rows, other columns and tables without rows have the results that its docstring names.
+"""
 
 from __future__ import annotations
 
@@ -19,28 +22,28 @@ ORACLE_SQL: str | None = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows."""
+    """Documents in a language that the model knows. Null texts, and texts without a letter, go; repeated rows stay or go together; without labelled rows all go."""
     found = language.identify_languages(docs)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group with similar word shingles."""
+    """One document, that of the smallest id, of each group with similar word shingles. Texts without words, null ones and rows without an id stay; rows that share an id stay or go together."""
     return jaccard.deduplicated(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms; their lengths don't change."""
+    """Documents with pseudonyms; their lengths don't change. All rows stay; a null text stays null."""
     return pii.pseudonymise(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it. Texts without words aren't taken; documents without a source are a source; repeated rows are taken alike."""
     return mixing.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null text has the digests of no bytes."""
     return tokenizer.coded_digests(tokenizer.encode_documents(docs, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE)
 
 
