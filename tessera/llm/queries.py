@@ -61,8 +61,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokenizer.encode_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
-    return tokenizer.coded_digests(encoded, BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return tokenizer.coded_digests(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

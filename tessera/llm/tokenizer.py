@@ -273,13 +273,14 @@ def pre_tokens(pattern: regex.Pattern, text: str, size: int, overlap: int) -> li
 
 
 def encode_documents(
-    df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", chunk: int = 4_096, overlap: int = 256, together: int = 64
+    df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", chunk: int = 4_096, overlap: int = 256, together: int = 64, decoded: bool = False
 ) -> DataFrame:
     """The id and the ids (array<int>) of each whole text, as encoding it at once without special tokens gives them.
 
     Texts are cut into overlapping chunks, which are pre-tokenised each by itself; where two scans first
     agree on a boundary within the overlap they are stitched, and the pre-tokens between stitches are encoded. The chunks of a text
     of ``together`` chunks or less are scanned in one task; longer texts are dealt in parts of so many chunks to many tasks, and those parts stitched in the same way.
+    With ``decoded`` the ids are decoded again in the same task, to a column ``data`` as decode_documents() gives it: one Python worker for both.
     The pattern must match every character, look back at nothing and ahead at no more than two characters. A null text is taken as
     empty: no ids; repeated rows stay apart; a table without rows gives none; other columns are left out.
     """
@@ -297,12 +298,14 @@ def encode_documents(
         for batch in batches:
             for few in _few(batch):
                 ids = [coder.encode(pre_tokens(coder.pattern, t.as_py(), chunk, overlap)) for t in few.column(1)]
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+                more = {"data": pa.array([_decoded(x, file.value) for x in ids], pa.binary())} if decoded else {}
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.list_(pa.int32())), *more.values()], ["id", "ids", *more])
 
-    done = rows.where(F.length("text") <= part + overlap).mapInArrow(here, f"id {kind}, ids array<int>")
+    done = rows.where(F.length("text") <= part + overlap).mapInArrow(here, f"id {kind}, ids array<int>" + ", data binary" * decoded)
     parts = _long_parts(rows.where(F.length("text") > part + overlap), file, pattern, part, overlap)
     whole_ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]))
     joined = parts.groupBy("id", "row").agg(whole_ids.alias("ids")).select("id", "ids")  # a text at a time
+    joined = decode_documents(joined, vocabulary_path) if decoded else joined
     return done.unionByName(joined).withColumnRenamed("id", doc_id)
 
 
@@ -369,15 +372,18 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
-        pieces = _pieces(file.value)
-        return ids.map(lambda x: b"".join(map(pieces.__getitem__, x.tolist())))
+        return ids.map(lambda x: _decoded(x.tolist(), file.value))
 
     return encoded.withColumn("data", decode("ids"))
 
 
-def coded_digests(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encoded`` with n_tokens, ids_sha256 and decoded_sha256 in place of ids."""
-    out = decode_documents(encoded, vocabulary_path)
+def _decoded(ids: list[int], file: bytes) -> bytes:
+    return b"".join(map(_pieces(file).__getitem__, ids))
+
+
+def coded_digests(df: DataFrame, vocabulary_path: str, pattern: str, **options: int) -> DataFrame:
+    """The id, n_tokens, ids_sha256 and decoded_sha256 of each row of encode_documents()."""
+    out = encode_documents(df, vocabulary_path, pattern, decoded=True, **options)
     return out.withColumns(
         {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256), "decoded_sha256": F.sha2(F.col("data"), 256)}
     ).drop("ids", "data")

@@ -57,7 +57,7 @@ ALL = {
     "rules": lambda d: rules.quality_cascade(d),
     "mixing": lambda d: mixing.fair_mix(d),
     "jaccard": lambda d: jaccard.similar_components(d),
-    "bpe": lambda d: tokenizer.coded_digests(tokenizer.encode_documents(d, BPE, public_tokenizers.PATTERN), BPE),
+    "bpe": lambda d: tokenizer.coded_digests(d, BPE, public_tokenizers.PATTERN),
 }
 
 
@@ -605,6 +605,8 @@ def test_bpe_in_chunks(spark):
         out = tokenizer.decode_documents(tokenizer.encode_documents(docs, BPE, public_tokenizers.PATTERN, **options), BPE).collect()
         assert {r.doc_id: r.ids for r in out} == {k: encoding.encode_ordinary(t or "") for k, t in enumerate(texts)}
         assert {r.doc_id: bytes(r.data).decode() for r in out} == {k: t or "" for k, t in enumerate(texts)}
+        both = tokenizer.encode_documents(docs, BPE, public_tokenizers.PATTERN, decoded=True, **options).collect()
+        assert {r.doc_id: (r.ids, bytes(r.data)) for r in both} == {r.doc_id: (r.ids, bytes(r.data)) for r in out}
 
 
 # ---- 6
