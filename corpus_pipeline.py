@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null text has the digests of no bytes."""
-    return tokenizer.coded_digests(tokenizer.encode_documents(docs, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE)
+    return tokenizer.coded_digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", known_language), ("jaccard_join", near_duplicates), ("pii", personal_data), ("fair_mix", mix_sources), ("byte_bpe", byte_bpe)]
