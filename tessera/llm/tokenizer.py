@@ -184,27 +184,31 @@ def _merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Known(dict[str, tuple[int, ...]]):
+    """The ids of pre-tokens by the ranks: those met before are remembered, up to a number."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "replace")
+        ids = (self.ranks[data],) if data in self.ranks else tuple(merged(data, self.ranks))
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Coder:
     """Encodes pre-tokens by the ranks, and remembers their ids."""
 
     def __init__(self, file: bytes, pattern: str):
-        self.ranks = ranks_of(file)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
-        if ids is None:
-            data = piece.encode("utf-8", "replace")
-            ids = (self.ranks[data],) if data in self.ranks else tuple(merged(data, self.ranks))
-            if len(piece) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
+        self.known = Known(ranks_of(file))
 
     def encode(self, pieces: Iterable[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, pieces)))
+        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
 
 @lru_cache(2)
