@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to a Python worker; a longer text is a batch by itself.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -104,7 +106,11 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str], wi
 
 
 def batches_of(rows: int, spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch and in a batch of the Parquet reader, where the session still has Spark's defaults: texts can be long."""
-    for key, default, now in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.parquet.columnarReaderBatchSize", "4096", min(rows, 512))):
+    """Fewer rows and bytes in an Arrow batch, and fewer rows in a batch of the Parquet reader, where the session still has Spark's defaults: texts can be long."""
+    for key, default, now in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", min(rows, 512)),
+    ):
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, str(now))

@@ -27,6 +27,8 @@ OFTEN = 8
 FEW_IDS = 300_000
 #: Cells in which a set's elements are counted, by their hash.
 CELLS = 128
+#: Rows of an Arrow batch that a task sends back: a few MB, however many elements the texts of a batch have.
+SENT = 1 << 16
 #: A list longer than this is paired in blocks of about this size.
 BLOCK = 256
 
@@ -91,6 +93,7 @@ def _first_pass(df: DataFrame, words: int, percent: int, text: str, doc_id: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names = ["id", "kind", "n", "node", "low", "token"]
         for batch in batches:
             heads, kinds, tokens = [], [], []  # of a posting or subset: its kind, and its set's place in heads
             for k, value in enumerate(batch.column(1)):
@@ -120,14 +123,11 @@ def _first_pass(df: DataFrame, words: int, percent: int, text: str, doc_id: str)
                 _, place, count = np.unique(token, return_inverse=True, return_counts=True)
                 kind |= np.where((kind >= POSTING) & (count[place] >= OFTEN), np.int8(SHARED), np.int8(0))
             n, node, low = (np.array(x, dtype=np.int64) for x in zip(*heads, strict=True)) if heads else (np.zeros(0, dtype=np.int64),) * 3
-            joined = lambda a: pa.array(np.concatenate([a, a[at]]))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(len(token), batch.column(0).type)]), pa.array(np.concatenate([np.full(len(n), TEXT, dtype=np.int8), kind])), joined(n), joined(node), joined(low),
-                    pa.array(np.concatenate([np.zeros(len(n), dtype=np.int64), token.view(np.int64)])),
-                ],
-                ["id", "kind", "n", "node", "low", "token"],
-            )
+            texts = [np.full(len(n), TEXT, dtype=np.int8), n, node, low, np.zeros(len(n), dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, texts)], names)
+            for k in range(0, len(token), SENT):
+                few, of = slice(k, k + SENT), at[k : k + SENT]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), batch.column(0).type), *map(pa.array, (kind[few], n[of], node[of], low[of], token[few].view(np.int64)))], names)
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, {_ROWS}")
@@ -212,8 +212,10 @@ def _whole_postings(df: DataFrame, wanted: DataFrame, words: int, text: str, doc
             np.minimum.at(low, place, owner[at])
             np.maximum.at(high, place, owner[at])
             kind = np.where((count >= OFTEN) & (low < high), POSTING | WHOLE | SHARED, POSTING | WHOLE)[place].astype(np.int8)
-            part = batch.select(["n", "node", "component"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *part.columns, pa.array(token)], ["kind", "n", "node", "component", "token"])
+            for k in range(0, len(token), SENT):
+                few = slice(k, k + SENT)
+                part = batch.select(["n", "node", "component"]).take(pa.array(at[few]))
+                yield pa.RecordBatch.from_arrays([pa.array(kind[few]), *part.columns, pa.array(token[few])], ["kind", "n", "node", "component", "token"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return _texts(df, wanted, text, doc_id).select("text", "node", "n", "component").mapInArrow(run, f"kind byte, n long, node long, component {kind}, token long")
